@@ -6,6 +6,9 @@ import importlib
 
 #: Query name -> module of this package that defines it.
 WHERE = {
+    "p2_found": "communities",
+    "p2_communities": "communities",
+    "p2_members": "communities",
     "p5_found": "neighbours",
 }
 
