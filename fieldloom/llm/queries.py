@@ -6,6 +6,8 @@ import importlib
 
 #: Query name -> module of this package that defines it.
 WHERE = {
+    "p1_found": "history",
+    "p1_links": "history",
     "p2_found": "communities",
     "p2_communities": "communities",
     "p2_members": "communities",
