@@ -11,6 +11,7 @@ WHERE = {
     "p2_found": "communities",
     "p2_communities": "communities",
     "p2_members": "communities",
+    "p3_found": "retellings",
     "p5_found": "neighbours",
 }
 
