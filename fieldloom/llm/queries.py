@@ -12,6 +12,8 @@ WHERE = {
     "p2_communities": "communities",
     "p2_members": "communities",
     "p3_found": "retellings",
+    "p4_found": "spans",
+    "p4_shares": "spans",
     "p5_found": "neighbours",
 }
 
