@@ -15,6 +15,12 @@ WHERE = {
     "p4_found": "spans",
     "p4_shares": "spans",
     "p5_found": "neighbours",
+    "p6_ids": "encoding",
+    "p7_containers_1": "packing",
+    "p7_containers_2": "packing",
+    "p7_containers_3": "packing",
+    "p7_containers_4": "packing",
+    "p7_containers_5": "packing",
 }
 
 
