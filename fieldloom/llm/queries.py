@@ -21,6 +21,7 @@ WHERE = {
     "p7_containers_3": "packing",
     "p7_containers_4": "packing",
     "p7_containers_5": "packing",
+    "p8_found": "sentences",
 }
 
 
