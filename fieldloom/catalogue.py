@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
+import importlib
+
+from fieldloom.plans import registry
+
+PLANS = ("field",)
+
+
+def _load() -> None:
+    for name in PLANS:
+        importlib.import_module(f"fieldloom.plans.{name}")
+
 
 def queries() -> dict:
-    return {}
+    _load()
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(registry.SQL)

@@ -1 +1 @@
-
+"""Column functions; everything stays in the JVM."""
