@@ -6,7 +6,7 @@ import importlib
 
 from fieldloom.plans import registry
 
-PLANS = ("field",)
+PLANS = ("field", "texts", "superset", "streams")
 
 
 def _load() -> None:
