@@ -56,7 +56,7 @@ def louvain(nodes: DataFrame, edges: DataFrame, seed: int = 7, resolution: float
     the smaller name on ties, so two nodes can't swap for ever. The same seed gives the same result on any partitioning.
     """
     membership = materialise(nodes.select("node", F.col("node").alias("community")), "louvain")
-    level_edges = edges.select("a", "b", F.col("w").cast("double").alias("w"))
+    level_edges = materialise(edges.select("a", "b", F.col("w").cast("double").alias("w")), "louvain-level")
     total = level_edges.agg(F.sum("w")).first()[0]
     if not total:
         return membership
