@@ -13,19 +13,21 @@ def t(name):
 
 
 LINE, ORD, CUST, NAT, REG, EV, PART, SUP = (t(n) for n in ("lineitem", "orders", "customer", "nation", "region", "events", "part", "supplier"))
-REV = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+def revenue():
+    return F.col("l_extendedprice") * (1 - F.col("l_discount"))
+
 
 
 @query("x_pricing_summary", "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(avg(l_discount), 6) AS disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL")
 def x_pricing_summary(spark, sf):
-    return LINE(spark, sf).where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp")).groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("qty"), F.round(F.sum(REV), 2).alias("revenue"), F.round(F.avg("l_discount"), 6).alias("disc"), F.count("*").alias("n"))
+    return LINE(spark, sf).where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp")).groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("qty"), F.round(F.sum(revenue()), 2).alias("revenue"), F.round(F.avg("l_discount"), 6).alias("disc"), F.count("*").alias("n"))
 
 
 @query("x_local_supplier", "SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey AND c_nationkey = s_nationkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
 def x_local_supplier(spark, sf):
     j = LINE(spark, sf).join(ORD(spark, sf), F.col("l_orderkey") == F.col("o_orderkey")).join(CUST(spark, sf), F.col("c_custkey") == F.col("o_custkey"))
     j = j.join(SUP(spark, sf), (F.col("l_suppkey") == F.col("s_suppkey")) & (F.col("c_nationkey") == F.col("s_nationkey"))).join(NAT(spark, sf), F.col("s_nationkey") == F.col("n_nationkey")).join(REG(spark, sf), F.col("n_regionkey") == F.col("r_regionkey"))
-    return j.groupBy("n_name").agg(F.round(F.sum(REV), 2).alias("revenue"))
+    return j.groupBy("n_name").agg(F.round(F.sum(revenue()), 2).alias("revenue"))
 
 
 @query("x_cube", "SELECT coalesce(o_orderstatus, '*') AS status, coalesce(o_orderpriority, '*') AS priority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")

@@ -308,13 +308,13 @@ def place_verdicts(spark, sf):
     return p.select("chunk_id", "placed_at", tape.verdict(F.col("residual"), F.col("entropy") > 1, f(0.05), f(0.45), f(0.30)).alias("verdict"))
 
 
-@query("place_entropy", "WITH m AS (SELECT DISTINCT chunk_id, community_of FROM memberships WHERE partition_version = 2 AND community_of >= 0), p AS (SELECT c.lane, m.community_of AS k, count(*) AS n FROM m JOIN chunks c USING (chunk_id) GROUP BY ALL), t AS (SELECT lane, sum(n) AS t FROM p GROUP BY 1) SELECT lane, round(-sum(n / t * ln(n / t)), 6) AS entropy FROM p JOIN t USING (lane) GROUP BY 1")
+@query("place_entropy", "WITH m AS (SELECT DISTINCT chunk_id, community_of FROM memberships WHERE partition_version = 2 AND community_of >= 0), p AS (SELECT c.lane, m.community_of AS k, count(*) AS n FROM m JOIN chunks c USING (chunk_id) GROUP BY ALL), t AS (SELECT lane, sum(n) AS t FROM p GROUP BY 1) SELECT lane, round(0::DOUBLE - sum(n / t * ln(n / t)), 6) AS entropy FROM p JOIN t USING (lane) GROUP BY 1")
 def place_entropy(spark, sf):
     """Entropy of each lane's communities."""
     m = table(spark, sf, "memberships").where("partition_version = 2 and community_of >= 0").select("chunk_id", "community_of").distinct()
     p = m.join(table(spark, sf, "chunks").select("chunk_id", "lane"), "chunk_id").groupBy("lane", "community_of").agg(F.count("*").alias("n"))
     share = F.col("n") / F.sum("n").over(Window.partitionBy("lane"))
-    return p.withColumn("p", share).groupBy("lane").agg(F.round(-F.sum(F.col("p") * F.log("p")), 6).alias("entropy"))
+    return p.withColumn("p", share).groupBy("lane").agg(F.round(F.lit(0.0) - F.sum(F.col("p") * F.log("p")), 6).alias("entropy"))
 
 
 @query("dossier_census", "WITH d AS (SELECT doc_id, source, n_chars, when_s FROM documents WHERE regexp_matches(text, '(?i)\\bledger\\b')), c AS (SELECT doc_id, count(*) AS n, sum(n_tokens) AS tk FROM chunks WHERE doc_id IN (SELECT doc_id FROM d) GROUP BY 1) SELECT count(*) AS documents, count(DISTINCT source) AS lanes, sum(n)::BIGINT AS passages, sum(tk)::BIGINT AS tokens, min(when_s) AS first_s, max(when_s) AS last_s, round(count(*) / (SELECT count(*) FROM documents), 2) AS share FROM d LEFT JOIN c USING (doc_id)")
