@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fieldloom.llm import text as X
-from fieldloom.session import discard, materialise
+from fieldloom.operators.graph import components
+from fieldloom.session import materialise
 from fieldloom.sources.tables import table
 
 SHINGLE, THRESHOLD, MIN_WORDS = 3, 0.70, 40
@@ -149,3 +150,22 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     many = members.where(F.col("n") > 1)
     copies = many.select("cls", F.col("record_id").alias("record_a")).join(many.select("cls", F.col("record_id").alias("record_b")), "cls").where(F.col("record_a") < F.col("record_b"))
     return across.unionByName(copies.select("record_a", "record_b"))
+
+
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each long enough record its class of equal bodies, its group (the smallest record it is linked to, in any number of steps) and its links."""
+    links, members = class_links(table(spark, sf_dir, "tape_records").select("record_id", "body"))
+    members = materialise(members, "p3-members")
+    grouped = components(members.select(F.col("cls").alias("node")), links.select("a", "b", F.lit(1.0).alias("w")))
+    sizes = members.select("cls", "n").distinct()
+    both = links.select(F.col("a").alias("cls"), F.col("b").alias("other")).unionAll(links.select(F.col("b").alias("cls"), F.col("a").alias("other")))
+    others = both.join(sizes.select(F.col("cls").alias("other"), "n"), "other").groupBy("cls").agg(F.sum("n").alias("others"))
+    out = members.join(grouped.select(F.col("node").alias("cls"), F.col("component").alias("grp")), "cls").join(others, "cls", "left")
+    return out.select("record_id", "cls", "grp", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
+
+
+def p3_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each document with long enough records their number and the share that some other record retells."""
+    groups = p3_groups(spark, sf_dir)
+    of = table(spark, sf_dir, "tape_records").where("doc_id >= 0").select("record_id", "doc_id")
+    return of.join(groups, "record_id").groupBy("doc_id").agg(F.count("*").alias("records"), F.round(F.avg((F.col("links") > 0).cast("double")), 6).alias("retelling_share"))
