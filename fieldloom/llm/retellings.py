@@ -20,7 +20,7 @@ from fieldloom.session import materialise
 from fieldloom.sources.tables import table
 
 SHINGLE, THRESHOLD, MIN_WORDS = 3, 0.70, 40
-#: BANDS keys of ROWS MinHash values each: a pair at similarity .7 shares none with probability below 5e-4.
+#: BANDS keys of ROWS MinHash values each: a pair at similarity .7 shares none with probability below 7e-4.
 BANDS, ROWS = 40, 5
 STEP, TOLERANCE = 20, 1e-4
 SIGNATURE = BANDS * ROWS
