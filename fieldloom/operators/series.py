@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fieldloom.operators.knn import best_past
@@ -70,3 +71,25 @@ def moving_average(rows: DataFrame, key: str, order: list[str], value: Column, k
     listed = rows.where(value.isNotNull()).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, value.cast("double").alias("x")))).alias("xs"))
     ema = F.aggregate("xs", F.lit(None).cast("double"), lambda s, r: F.when(s.isNull(), r.x).otherwise(F.lit(keep) * s + F.lit(1 - keep) * r.x))
     return listed.select(key, ema.alias("ema"), F.size("xs").alias("n"))
+
+
+def average_before(rows: DataFrame, key: str, order: list[str], value: str, keep: float = 0.9) -> DataFrame:
+    """rows with ema: the moving average of each key's values before the row, null for the first. Values must not be null.
+
+    A key's rows pass in order through one task, batch by batch, and only the average is carried on; the sort can spill.
+    """
+    names = rows.columns
+
+    def run(batches):
+        now, ema = None, None
+        for b in batches:
+            before = []
+            for k, x in zip(b.column(key).to_pylist(), b.column(value).to_pylist()):
+                if k != now:
+                    now, ema = k, None
+                before.append(ema)
+                ema = x if ema is None else keep * ema + (1 - keep) * x
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(before, pa.float64())], names=[*names, "ema"])
+
+    schema = ", ".join(f"`{n}` {t}" for n, t in [*rows.dtypes, ("ema", "double")])
+    return rows.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)

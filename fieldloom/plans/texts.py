@@ -301,6 +301,14 @@ def lane_priority(spark, sf):
     return p.select("chunk_id", "residual", F.round(F.col("residual").cast("double") / F.sqrt("ema"), 4).alias("priority"))
 
 
+@query("lane_priorities", "WITH p AS (SELECT DISTINCT chunk_id, lane, residual, placed_at FROM placements WHERE residual IS NOT NULL AND lane IS NOT NULL AND placed_at IS NOT NULL), l AS (SELECT *, list((residual::DOUBLE) * (residual::DOUBLE)) OVER (PARTITION BY lane ORDER BY placed_at, chunk_id, residual ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS xs FROM p), e AS (SELECT *, CASE WHEN len(xs) > 0 THEN list_reduce(xs, lambda s, x: 0.9::DOUBLE * s + 0.1::DOUBLE * x) END AS ema FROM l) SELECT chunk_id, placed_at, residual, CASE WHEN ema > 0 THEN round(residual::DOUBLE / sqrt(ema), 4) END AS priority FROM e")
+def lane_priorities(spark, sf):
+    """Residual of every placement over its lane's volatility before it; null where the lane has none yet."""
+    p = placed(spark, sf).withColumn("r2", F.col("residual").cast("double") * F.col("residual").cast("double"))
+    e = S.average_before(p, "lane", ["placed_at", "chunk_id", "residual"], "r2")
+    return e.select("chunk_id", "placed_at", "residual", F.when(F.col("ema") > 0, F.round(F.col("residual").cast("double") / F.sqrt("ema"), 4)).alias("priority"))
+
+
 @query("place_verdicts", "SELECT chunk_id, placed_at, CASE WHEN residual < 0.05::FLOAT THEN 'RETELLING' WHEN residual > 0.45::FLOAT THEN 'NOVEL' WHEN entropy > 1 THEN 'BRIDGING' WHEN residual < 0.30::FLOAT THEN 'ROUTINE' ELSE 'RELATED' END AS verdict FROM placements WHERE residual IS NOT NULL AND entropy IS NOT NULL")
 def place_verdicts(spark, sf):
     p = table(spark, sf, "placements").where("residual is not null and entropy is not null")
