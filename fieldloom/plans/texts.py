@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from fieldloom.functions import text as T
 from fieldloom.operators import lexical as L, series as S, tape
 from fieldloom.plans.registry import query
+from fieldloom.session import materialise
 from fieldloom.sources.tables import table
 
 # the reference's lower-casing makes two characters of the dotted capital I
@@ -229,6 +230,41 @@ def label_terms(spark, sf):
     return top.groupBy("lane").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "term"))), lambda x: x.term), " · ").alias("label"))
 
 
+def document_weights(spark, sf) -> tuple[DataFrame, list[str]]:
+    """TF-IDF of the whole texts as the reference's vectoriser has it: terms and pairs, 60,000 features. Null texts take no part."""
+    x, names = L.text_weights(docs(spark, sf), "doc_id", "text")
+    return materialise(x, "tfidf"), names
+
+
+def named_weights(spark, sf) -> DataFrame:
+    x, names = document_weights(spark, sf)
+    known = spark.createDataFrame(list(enumerate(names)), "k int, term string")
+    return x.select("doc_id", F.explode(F.arrays_zip("terms", "ws")).alias("x")).select("doc_id", F.col("x.terms").alias("k"), F.col("x.ws").alias("w")).join(F.broadcast(known), "k").select("doc_id", "term", "w")
+
+
+@query("tfidf_documents")
+def tfidf_documents(spark, sf):
+    """TF-IDF of the documents' texts, each scaled to length 1."""
+    return named_weights(spark, sf).select("doc_id", "term", F.round("w", 6).alias("w"))
+
+
+@query("lexical_knn_documents")
+def lexical_knn_documents(spark, sf):
+    """Lexical neighbours by whole texts, k = 3 at .22: every fiftieth document against all."""
+    x, names = document_weights(spark, sf)
+    return L.packed_topk(x.where("doc_id % 50 = 0"), x, "doc_id", len(names), 3, 0.22)
+
+
+@query("label_terms_documents")
+def label_terms_documents(spark, sf):
+    """The four heaviest terms of each lane's texts, as its label."""
+    d = docs(spark, sf).where("text is not null").select("doc_id", F.col("source").alias("lane"))
+    n = d.groupBy("lane").agg(F.count("*").alias("n"))
+    m = named_weights(spark, sf).join(d, "doc_id").groupBy("lane", "term").agg(F.sum("w").alias("s")).join(n, "lane").select("lane", "term", F.round(F.col("s") / F.col("n"), 9).alias("w"))
+    top = m.withColumn("r", F.row_number().over(Window.partitionBy("lane").orderBy(F.desc("w"), "term"))).where("r <= 4")
+    return top.groupBy("lane").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "term"))), lambda x: x.term), " · ").alias("label"))
+
+
 QS = ", ".join(f"'{w}'" for w in QUESTION)
 BM = f"""WITH b AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+') AS toks FROM documents), st AS (SELECT count(*)::DOUBLE AS n, avg(len(toks)) AS avgdl FROM b),
 df AS (SELECT term, count(*)::DOUBLE AS df FROM (SELECT DISTINCT doc_id, unnest(toks) AS term FROM b) GROUP BY 1), i0 AS (SELECT term, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS idf FROM df, st), mi AS (SELECT avg(idf) AS mean FROM i0),
