@@ -69,6 +69,46 @@ def block_topk(queries: DataFrame, data: DataFrame, k: int, floor: float | None
     return found.withColumn("r", F.row_number().over(ranked)).where(F.col("r") <= k).drop("r")
 
 
+def band_pairs(rows: DataFrame, low: float, high: float, k: int, block: int = BLOCK, digits: int = 6) -> DataFrame:
+    """(a, b, w), a < b: of all pairs of different grp and label at low <= w < high the k best by w, a and b descending.
+
+    rows: (id bigint, grp bigint, label bigint, v array<double>). The band and both tests hold inside each pair of blocks before
+    its k best are taken, so pairs outside the band, however many, displace none.
+    """
+    names = ["id", "grp", "label", "v"]
+    rows = rows.select(*names).where(F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull())
+    n = max(1, -(-rows.count() // block))
+    own = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    both = own.select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", *names)
+
+    def best(group: pa.Table) -> pa.Table:
+        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        own = np.asarray(group.column("own"))
+        at, to = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        v = _matrix(group.column("v"))
+        ids, grp, label = (np.asarray(group.column(c)) for c in ("id", "grp", "label"))
+        kept = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        y = v[to].T
+        for s in range(0, at.size, 512):
+            x = at[s : s + 512]
+            sims = np.round(v[x] @ y, digits)
+            ok = (sims >= low) & (sims < high) & (grp[x][:, None] != grp[to][None, :]) & (label[x][:, None] != label[to][None, :])
+            if i == j:
+                ok &= ids[x][:, None] < ids[to][None, :]
+            r, c = np.nonzero(ok)
+            a, b, w = ids[x][r], ids[to][c], sims[r, c]
+            if w.size > k:
+                top = w >= np.partition(w, w.size - k)[w.size - k]
+                a, b, w = a[top], b[top], w[top]
+            a, b, w = (np.concatenate(z) for z in zip(kept, (np.minimum(a, b), np.maximum(a, b), w)))
+            first = np.lexsort((-b, -a, -w))[:k]
+            kept = a[first], b[first], w[first]
+        return pa.table({"a": kept[0], "b": kept[1], "w": kept[2]})
+
+    found = both.groupBy("i", "j").applyInArrow(best, "a bigint, b bigint, w double")
+    return found.orderBy(F.desc("w"), F.desc("a"), F.desc("b")).limit(k)
+
+
 def either_lists(near: DataFrame, floor: float | None = None) -> DataFrame:
     """Undirected edges (a, b, w), a < b, kept if either end lists the other."""
     kept = near if floor is None else near.where(F.col("w") >= floor)

@@ -123,11 +123,8 @@ def doc_knn(spark, sf):
 
 def bridge_rows(spark, sf) -> DataFrame:
     """Pairs of different documents and lanes at .35 <= w < .45: the strongest 160, by w, a and b descending."""
-    f = field(spark, sf)
-    strong = knn.block_topk(f, f, 200, 0.35)  # far more partners than any vector has
-    lane = f.select("id", "label")
-    pairs = strong.where("q < nbr and w < 0.45").join(lane.select(F.col("id").alias("q"), F.col("label").alias("la")), "q").join(lane.select(F.col("id").alias("nbr"), F.col("label").alias("lb")), "nbr")
-    return pairs.where("la <> lb").select(F.col("q").alias("a"), F.col("nbr").alias("b"), "w").orderBy(F.desc("w"), F.desc("a"), F.desc("b")).limit(160)
+    f = field(spark, sf).select("id", "grp", F.col("label").cast("bigint").alias("label"), "v")
+    return knn.band_pairs(f, 0.35, 0.45, 160)
 
 
 BR = NEAR + ", br AS (SELECT s.q AS a, s.nbr AS b, s.w FROM s JOIN u x ON x.vec_id = s.q JOIN u y ON y.vec_id = s.nbr WHERE s.q < s.nbr AND s.w >= 0.35::DOUBLE AND s.w < 0.45::DOUBLE AND x.label <> y.label ORDER BY s.w DESC, a DESC, b DESC LIMIT 160)"
