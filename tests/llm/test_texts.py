@@ -231,3 +231,13 @@ def test_sentences_leave_nothing_out(spark):
             covered, last = covered + t[a:b], b
         strip = lambda x: "".join(c for c in x if not c.isspace() and c != "﻿")
         assert strip(covered) == strip(t or "")
+
+
+def test_language_of_long_mixed_blocks():
+    thai = "วันนี้อากาศดีมาก เราไปเดินเล่น"
+    long = "Read the list of the names " + "abc " * 150 + thai
+    units = [long[a:b] for a, b in S.Splitter(S.Model()).split(long, "en")]
+    assert units[-1] == "เราไปเดินเล่น" and units[0].endswith("วันนี้อากาศดีมาก")
+    assert S.language("東 " + thai * 3, None) == "th"
+    assert S.language("東京都庁舎の案内", None) == "ja" and S.language("这是中文句子，引用の字而已", None) == "zh"
+    assert S.language("x" * 250 + " der Hund und die Katze sind nicht im Haus", "en") == "de"
