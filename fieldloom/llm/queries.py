@@ -8,6 +8,7 @@ import importlib
 WHERE = {
     "p1_found": "history",
     "p1_links": "history",
+    "p1_clusters": "history",
     "p2_found": "communities",
     "p2_communities": "communities",
     "p2_members": "communities",
