@@ -48,6 +48,15 @@ def test_retellings_equal_brute_force(spark, tmp_path):
     assert len(got) == len(set(got)) and set(got) == jaccard_pairs(bodies)
 
 
+def test_retellings_join_hot_bands_block_by_block(spark):
+    rng = random.Random(3)
+    base = [rng.choice(WORDS) + str(rng.randrange(30)) for _ in range(120)]
+    bodies = [" ".join(edited(rng, base, 3)) for _ in range(40)]
+    links, _ = R.class_links(records(spark, bodies), block=6)
+    got = [(r.a, r.b) for r in links.collect()]
+    assert len(got) == len(set(got)) and set(got) == jaccard_pairs(bodies) and len(got) > 300
+
+
 def test_retellings_of_nothing(spark, tmp_path):
     records(spark, []).write.parquet(str(tmp_path / "tape_records.parquet"))
     assert R.p3_found(spark, str(tmp_path)).count() == 0
