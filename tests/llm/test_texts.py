@@ -107,6 +107,12 @@ def test_spans_equal_brute_force(spark, hot):
     assert {(r.record_id, r.span_start, r.span_end) for r in got} == brute_spans(bodies, 20) and len(got) > 20
 
 
+def test_deep_nodes_hold_what_recurs():
+    texts = ["xxabcdefyy", "zabcdefz", "abcdxabcd"]
+    nodes = {texts[o][j : j + 4]: sorted(where) for where in P.deep_nodes(texts, 4) for o, j in where[:1]}
+    assert nodes == {"abcd": [(0, 2), (1, 1), (2, 0), (2, 5)], "bcde": [(0, 3), (1, 2)], "cdef": [(0, 4), (1, 3)], "xabc": [(0, 1), (2, 4)]}
+
+
 def test_spans_of_nothing_and_of_own_repeats(spark):
     assert P.shared_spans(records(spark, [])).count() == 0
     assert P.shared_spans(records(spark, ["abc" * 300, None])).count() == 0
