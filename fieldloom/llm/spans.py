@@ -143,23 +143,35 @@ def _repeats(span: int):
         order = np.argsort(key, kind="stable")
         starts = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
         ids, others, low = (np.asarray(group.column(c)) for c in ("record_id", "other", "low"))
-        texts = group.column("text")
+        texts = group.column("text").to_pylist()
         out: list[tuple[int, int, int]] = []
         for s, e in zip(starts, np.r_[starts[1:], len(key)]):
             at = order[s:e]
             if ids[at].min() == others[at].max():
                 continue
+            # equal stretches of several records are repeats as a whole, and one leaf for the rest
+            rows_of: dict[str, list[int]] = {}
+            for k in at.tolist():
+                rows_of.setdefault(texts[k], []).append(k)
+            leaves = list(rows_of)
+            least, most = np.array([ids[r].min() for r in rows_of.values()]), np.array([others[r].max() for r in rows_of.values()])
+            for t, k, a, b in zip(leaves, rows_of.values(), least, most):
+                if a != b:
+                    out += [(int(ids[r]), int(low[r]), int(low[r]) + len(t)) for r in k]
+            if len(leaves) == 1:
+                continue
             hit: dict[int, list[int]] = {}
-            for node in deep_nodes([texts[int(k)].as_py() for k in at], span):
-                rows = at[[o for o, _ in node]]
-                if ids[rows].min() != others[rows].max():
+            for node in deep_nodes(leaves, span):
+                under = [o for o, _ in node]
+                if least[under].min() != most[under].max():
                     for o, j in node:
-                        hit.setdefault(o, []).append(j)
+                        if least[o] == most[o]:
+                            hit.setdefault(o, []).append(j)
             for o, found in hit.items():
                 js = np.sort(np.array(found))
                 cut = np.flatnonzero(np.diff(js) > 1)
                 for a, b in zip(js[np.r_[0, cut + 1]], js[np.r_[cut, js.size - 1]]):
-                    out.append((int(ids[at[o]]), int(low[at[o]] + a), int(low[at[o]] + b) + span))
+                    out += [(int(ids[r]), int(low[r] + a), int(low[r] + b) + span) for r in rows_of[leaves[o]]]
         columns = list(zip(*out)) if out else [(), (), ()]
         return pa.table({n: pa.array(list(c), pa.int64()) for n, c in zip(("record_id", "s", "e"), columns)})
 
