@@ -256,3 +256,14 @@ def test_language_of_long_mixed_blocks():
     assert S.language("東 " + thai * 3, None) == "th"
     assert S.language("東京都庁舎の案内", None) == "ja" and S.language("这是中文句子，引用の字而已", None) == "zh"
     assert S.language("x" * 250 + " der Hund und die Katze sind nicht im Haus", "en") == "de"
+
+
+def test_sentences_without_a_space_between(splitter):
+    text = "The map was shut.The garden was empty. See store/a_1.Npz and 2.5.The door was shut."
+    assert [text[a:b] for a, b in splitter.split(text, "en")] == ["The map was shut.", "The garden was empty.", "See store/a_1.Npz and 2.5.", "The door was shut."]
+    wide = "x" * 3000 + " cf. " + "y" * 200 + "."
+    assert S.Splitter._words(wide, 0, len(wide) - 1)[-1] == "y" * 200
+
+
+def test_ratio_tells_company_from_chance():
+    assert S.ratio(50, 50, 60, 10_000) > 100 and S.ratio(1, 100, 100, 10_000) < 1 and S.ratio(0, 10, 10, 100) == 0
