@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pytest
 import regex
+from pyspark.sql import functions as F
 from hypothesis import given, settings, strategies as st
 
 from fieldloom.llm import encoding as E, packing as K, retellings as R, sentences as S, spans as P, text as X, tokenizers as T
@@ -265,5 +266,7 @@ def test_sentences_without_a_space_between(splitter):
     assert S.Splitter._words(wide, 0, len(wide) - 1)[-1] == "y" * 200
 
 
-def test_ratio_tells_company_from_chance():
-    assert S.ratio(50, 50, 60, 10_000) > 100 and S.ratio(1, 100, 100, 10_000) < 1 and S.ratio(0, 10, 10, 100) == 0
+def test_ratio_tells_company_from_chance(spark):
+    rows = spark.createDataFrame([(50, 50, 60, 10_000), (1, 100, 100, 10_000), (0, 10, 10, 100)], "a bigint, b bigint, c bigint, d bigint")
+    near, chance, apart = (r[0] for r in rows.select(S._ratio(*(F.col(c) for c in "abcd"))).collect())
+    assert near > 100 and chance < 1 and apart == 0
