@@ -22,6 +22,8 @@ NAME = "byte_bpe_50k"
 WINDOW = 16
 #: A chunk has LEAST characters or more, and about LEAST + MASK on average.
 LEAST, MASK = 512, 511
+#: A chunk that a batch holds this often is encoded by up to POPULAR_TASKS tasks, so that no task sends out all its places.
+POPULAR, POPULAR_TASKS = 64, 32
 #: Characters hashed at once.
 BLOCK = 1 << 19
 
@@ -137,10 +139,13 @@ def encode_corpus(docs: DataFrame, name: str = NAME, key: str = "doc_id", text:
     the cuts are made for.
     """
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    chunks = rows.mapInArrow(_chunked, "h1 bigint, h2 bigint, chunk string, docs array<bigint>, wholes array<bigint>, seqs array<int>")
-    placed = chunks.repartition("h1", "h2").mapInArrow(_encoded(name, tokenizers), "doc_id bigint, whole bigint, seq int, ids array<int>")
+    some, none = rows.where(F.length("text") > 0), rows.where(F.coalesce(F.length("text"), F.lit(0)) == 0)
+    chunks = some.mapInArrow(_chunked, "h1 bigint, h2 bigint, chunk string, docs array<bigint>, wholes array<bigint>, seqs array<int>")
+    salt = F.when(F.size("docs") >= POPULAR, F.pmod(F.xxhash64(F.element_at("docs", 1)), F.lit(POPULAR_TASKS))).otherwise(0)
+    placed = chunks.repartition("h1", "h2", salt).mapInArrow(_encoded(name, tokenizers), "doc_id bigint, whole bigint, seq int, ids array<int>")
     gathered = placed.groupBy("doc_id", "whole").agg(F.collect_set(F.struct("seq", "ids")).alias("parts"))
-    return gathered.select(F.col("doc_id").alias(key), F.flatten(F.transform(F.array_sort("parts"), lambda p: p.ids)).alias("ids"))
+    encoded = gathered.select(F.col("doc_id").alias(key), F.flatten(F.transform(F.array_sort("parts"), lambda p: p.ids)).alias("ids"))
+    return encoded.unionByName(none.select(F.col("doc_id").alias(key)).distinct().withColumn("ids", F.array().cast("array<int>")))
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
