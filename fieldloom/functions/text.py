@@ -38,8 +38,12 @@ def ascii_words(text: Column) -> Column:
 
 def ngrams(tokens: Column, n: int) -> Column:
     """Distinct runs of n words joined by blanks; an empty array for fewer than n words."""
-    runs = F.transform(F.sequence(F.lit(0), F.size(tokens) - n), lambda i: F.array_join(F.slice(tokens, i + 1, n), " "))
-    return F.when(F.size(tokens) >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+
+    def runs(words: Column) -> Column:
+        every = F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.array_join(F.slice(words, i + 1, n), " "))
+        return F.when(F.size(words) >= n, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
+
+    return F.transform(F.array(tokens), runs)[0]  # tokens are bound once, not found again for every run
 
 
 def token_estimate(text: Column) -> Column:

@@ -20,8 +20,8 @@ def norm(v: Column) -> Column:
 
 def normalise(v: Column, epsilon: float = 1e-9) -> Column:
     """v / (|v| + epsilon): a zero vector stays zero."""
-    size = norm(v) + F.lit(epsilon)
-    return F.transform(doubles(v), lambda x: x / size)
+    # a lambda evaluates what it closes over for every element: the norm is bound once
+    return F.transform(F.array(norm(v) + F.lit(epsilon)), lambda size: F.transform(doubles(v), lambda x: x / size))[0]
 
 
 def quantise(v: Column, scale: int = 127) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from fieldloom.session import discard, materialise
@@ -57,23 +59,25 @@ def modularity(edges: DataFrame, membership: DataFrame) -> DataFrame:
     return terms.agg(F.round(F.sum(F.coalesce("inner_w", F.lit(0.0)) / F.col("m") - (F.col("k") / (2 * F.col("m"))) ** 2), 6).alias("modularity"))
 
 
-def louvain(nodes: DataFrame, edges: DataFrame, seed: int = 7, resolution: float = 1.0, sweeps: int = 12, levels: int = 4) -> DataFrame:
+def louvain(nodes: DataFrame, edges: DataFrame, seed: int = 7, resolution: float = 1.0) -> DataFrame:
     """(node, community): synchronous modularity moves, level by level; communities are named by their smallest node.
 
     In each sweep a hash of (node, seed, sweep) lets half of the nodes move to the neighbouring community of the largest gain,
-    the smaller name on ties, so two nodes can't swap for ever. The same seed gives the same result on any partitioning.
+    the smaller name on ties. Sweeps go on until two running move nothing, or until modularity has not risen for some sweeps;
+    levels until one moves nothing. The same seed gives the same result on any partitioning.
     """
     membership = materialise(nodes.select("node", F.col("node").alias("community")), "louvain")
     level_edges = materialise(edges.select("a", "b", F.col("w").cast("double").alias("w")), "louvain-level")
     total = level_edges.agg(F.sum("w")).first()[0]
     if not total:
         return membership
-    for level in range(levels):
+    for level in itertools.count():
         now = materialise(both_ways(level_edges).groupBy("src", "dst").agg(F.sum("w").alias("w")), "louvain-edges")
         strength = materialise(now.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k")), "louvain-strength")
         state = materialise(strength.select("node", F.col("node").alias("community"), "k"), "louvain-state")
         moved_any = False
-        for sweep in range(sweeps):
+        best_q, since, quiet = None, 0, 0
+        for sweep in itertools.count():
             totals = state.groupBy("community").agg(F.sum("k").alias("tot"))
             links = now.where("src <> dst").join(state.select(F.col("node").alias("dst"), "community"), "dst").groupBy(F.col("src").alias("node"), F.col("community").alias("c")).agg(F.sum("w").alias("w_in"))
             mine = state.select("node", "community", "k")
@@ -93,14 +97,23 @@ def louvain(nodes: DataFrame, edges: DataFrame, seed: int = 7, resolution: float
             state = nxt.drop("moved")
             state.written_at = nxt.written_at
             moved_any |= moves > 0
-            if not moves and sweep % 2:
+            quiet = 0 if moves else quiet + 1
+            if quiet == 2:
                 break
+            if sweep % 4 == 3:  # nodes that move at once can undo each other's gain: what counts is the whole
+                inner = now.join(state.select(F.col("node").alias("src"), F.col("community").alias("cs")), "src").join(state.select(F.col("node").alias("dst"), F.col("community").alias("cd")), "dst").where("cs = cd").agg(F.sum("w")).first()[0] or 0.0
+                spread = state.groupBy("community").agg(F.sum("k").alias("k")).agg(F.sum(F.col("k") * F.col("k"))).first()[0] or 0.0
+                q = inner / (2.0 * total) - resolution * spread / (4.0 * total * total)
+                since = 0 if best_q is None or q > best_q + 1e-9 else since + 1
+                best_q = q if best_q is None else max(q, best_q)
+                if since == 2:
+                    break
         if not moved_any:
             break
         merged = membership.join(state.select(F.col("node").alias("community"), F.col("community").alias("next")), "community", "left").select("node", F.coalesce("next", "community").alias("community"))
         membership = materialise(merged, "louvain")
         of = state.select("node", "community")
-        level_edges = materialise(now.where("src <= dst").join(of.select(F.col("node").alias("src"), F.col("community").alias("a")), "src").join(of.select(F.col("node").alias("dst"), F.col("community").alias("b")), "dst").groupBy("a", "b").agg(F.sum("w").alias("w")), "louvain-level")
+        level_edges = materialise(now.where("src <= dst").join(of.select(F.col("node").alias("src"), F.col("community").alias("a")), "src").join(of.select(F.col("node").alias("dst"), F.col("community").alias("b")), "dst").groupBy("a", "b").agg(F.sum(F.when(F.col("src") == F.col("dst"), F.col("w") / 2).otherwise(F.col("w"))).alias("w")), "louvain-level")  # loops stand twice in `now`
     names = membership.groupBy("community").agg(F.min("node").alias("name"))
     return membership.join(names, "community").select("node", F.col("name").alias("community"))
 

@@ -26,7 +26,7 @@ def block_topk(queries: DataFrame, data: DataFrame, k: int, floor: float | None
     names = ["id", "grp", "pos", "v"]
     q = queries.select(*names).where(F.col("id").isNotNull() & F.col("v").isNotNull())
     d = data.select(*names).where(F.col("id").isNotNull() & F.col("v").isNotNull())
-    nq, nd = (max(1, -(-x.count() // block)) for x in (q, d))
+    nq, nd = (max(1, -(-x.select("id").where(F.col("id").isNotNull()).count() // block)) for x in (queries, data))  # vectors are not needed to count
     spread = lambda df, side, n, m: df.select(F.lit(side).alias("side"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("other"), *names)
     both = spread(q, 0, nq, nd).withColumn("i", F.col("own")).withColumn("j", F.col("other")).unionByName(spread(d, 1, nd, nq).withColumn("i", F.col("other")).withColumn("j", F.col("own")))
 
@@ -127,6 +127,20 @@ def best_past(chunks: DataFrame, block: int = BLOCK) -> DataFrame:
     return block_topk(chunks, chunks, 1, block=block, earlier=True)
 
 
+def digest(hits: list[tuple[int, int]]) -> str:
+    """FNV-1a, 64 bits, over the little-endian 32-bit words of (id, score) of an ordered list of hits (a top-k, so a bounded one)."""
+    h = 1469598103934665603  # Fixed values: offset basis and prime of the scan's digest.
+    for byte in np.array(hits, np.int64).astype(np.uint32).astype("<u4").tobytes():
+        h = (h ^ byte) * 1099511628211 % (1 << 64)
+    return f"{h:016x}"
+
+
+def two_pass(coarse: DataFrame, fine: DataFrame, coarse_query: DataFrame, fine_query: DataFrame, score, coarse_k: int, final_k: int, id_col: str = "id") -> DataFrame:
+    """(id, score): the coarse_k best of the coarse vectors, scored anew on the fine ones: final_k best. Tables are (id, v), queries one-row (query)."""
+    first = scan(coarse, coarse_query, score, coarse_k, id_col).select(id_col)
+    return scan(fine.join(F.broadcast(first), id_col, "left_semi"), fine_query, score, final_k, id_col)
+
+
 def scan(data: DataFrame, query: DataFrame, score, k: int, id_col: str) -> DataFrame:
     """One query vector (a one-row table with column query) against all rows: k best by score descending, id ascending."""
     return data.join(F.broadcast(query)).select(id_col, score.alias("score")).orderBy(F.desc("score"), id_col).limit(max(k, 0))

@@ -6,14 +6,36 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fieldloom.operators.knn import best_past
+from fieldloom.session import materialise
 
 RETELLING = 0.97
 
 
+def running(rows: DataFrame, order: list, name: str, value: Column | None = None) -> DataFrame:
+    """rows with `name`: the number of rows before each in a total order, or the sum of their values.
+
+    Rows are divided into ranges of the order; each range counts by itself and starts from the sum of the ranges before it, so
+    no task holds them all. Order columns must tell all rows apart.
+    """
+    keys = [o if isinstance(o, Column) else F.col(o) for o in order]
+    ranged = rows.withColumns({f"_o{i}": k for i, k in enumerate(keys)} | {"_v": F.lit(1) if value is None else value})
+    names = [f"_o{i}" for i in range(len(keys))]
+    ranged = materialise(ranged.repartitionByRange(*names).withColumn("_p", F.spark_partition_id()), "running")
+    sums = sorted((r["_p"], r["s"]) for r in ranged.groupBy("_p").agg(F.sum("_v").alias("s")).collect())  # a row a range
+    before, total = [], 0
+    for p, s in sums:
+        before.append((p, total))
+        total += s or 0
+    kind = "bigint" if value is None else "double"
+    starts = F.broadcast(rows.sparkSession.createDataFrame([(p, int(b) if value is None else float(b)) for p, b in before], f"_p int, _b {kind}"))
+    within = Window.partitionBy("_p").orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
+    out = ranged.join(starts, "_p").withColumn(name, F.col("_b") + F.coalesce(F.sum("_v").over(within), F.lit(0)))
+    return out.select(*rows.columns, name)
+
+
 def arrival(docs: DataFrame, when: str, doc: str) -> DataFrame:
     """docs with pos, from 0 in the order (when, doc); undated rows have none."""
-    dated = docs.where(F.col(when).isNotNull())
-    return dated.withColumn("pos", F.row_number().over(Window.orderBy(when, doc)) - 1)
+    return running(docs.where(F.col(when).isNotNull()), [when, doc], "pos")
 
 
 def residual_curve(chunks: DataFrame, retelling: float = RETELLING) -> DataFrame:
@@ -33,9 +55,11 @@ def decile_of(rank: Column, n: Column, k: int = 10) -> Column:
 def deciles(scores: DataFrame, k: int = 10, by: list[str] | None = None) -> DataFrame:
     """Mean residual and retelling share per bin of arrival; bins without a document have no row."""
     by = by or []
-    order = Window.partitionBy(*by).orderBy("pos") if by else Window.orderBy("pos")
-    whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    ranked = scores.withColumn("i", F.row_number().over(order) - 1).withColumn("n", F.count("*").over(whole))
+    if by:
+        ranked = scores.withColumn("i", F.row_number().over(Window.partitionBy(*by).orderBy("pos")) - 1).withColumn("n", F.count("*").over(Window.partitionBy(*by)))
+    else:
+        ranked = running(scores, ["pos"], "i")
+        ranked = ranked.join(F.broadcast(ranked.agg(F.count("*").alias("n"))))  # one row
     return ranked.withColumn("decile", decile_of(F.col("i"), F.col("n"), k)).groupBy(*by, "decile").agg(F.avg("residual").alias("residual"), F.avg("retelling_share").alias("retelling_share"))
 
 
@@ -67,10 +91,39 @@ def fronts(series: DataFrame, open_z: float = 1.0, close_z: float = 0.0, order:
 
 
 def moving_average(rows: DataFrame, key: str, order: list[str], value: Column, keep: float = 0.9) -> DataFrame:
-    """(key, ema, n): exponential average in order, the first value as the seed. Null values are skipped."""
-    listed = rows.where(value.isNotNull()).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, value.cast("double").alias("x")))).alias("xs"))
-    ema = F.aggregate("xs", F.lit(None).cast("double"), lambda s, r: F.when(s.isNull(), r.x).otherwise(F.lit(keep) * s + F.lit(1 - keep) * r.x))
-    return listed.select(key, ema.alias("ema"), F.size("xs").alias("n"))
+    """(key, ema, n): exponential average in order, the first value as the seed. Null values are skipped.
+
+    A stretch of values takes an average s to a s + b, so stretches are summed up apart, wherever a range of the order is cut,
+    and put together per key: no key needs a task of its own.
+    """
+    kind = rows.schema[key].dataType.simpleString()
+    names = [f"_o{i}" for i in range(len(order))]
+    ordered = rows.where(value.isNotNull()).select(key, *[F.col(o).alias(n) for o, n in zip(order, names)], value.cast("double").alias("x"))
+    ordered = ordered.repartitionByRange(key, *names).sortWithinPartitions(key, *names).select(key, "x", F.spark_partition_id().alias("p"))
+
+    def stretches(batches):
+        now, n, a, b, seeded, part = None, 0, 1.0, 0.0, 0.0, 0
+        for batch in batches:
+            out = []
+            for k, x, p in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if k != now or not n:
+                    if n:
+                        out.append((now, part, n, a, b, seeded))
+                    now, n, a, b, seeded, part = k, 1, keep, (1 - keep) * x, x, p
+                else:
+                    n, a, b, seeded = n + 1, keep * a, keep * b + (1 - keep) * x, keep * seeded + (1 - keep) * x
+            yield table(out)
+        yield table([(now, part, n, a, b, seeded)] if n else [])
+
+    def table(rows_: list) -> pa.RecordBatch:
+        columns = list(zip(*rows_)) if rows_ else [()] * 6
+        types = (pa.string(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array([None if v is None else str(v) for v in c] if i == 0 else list(c), t) for i, (c, t) in enumerate(zip(columns, types))], names=["key", "p", "n", "a", "b", "seeded"])
+
+    parts = ordered.select(F.col(key).cast("string").alias(key), "x", "p").mapInArrow(stretches, "key string, p int, n bigint, a double, b double, seeded double")
+    listed = parts.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("p", "n", "a", "b", "seeded"))).alias("xs"))  # a stretch per range
+    ema = F.aggregate("xs", F.lit(None).cast("double"), lambda s, r: F.when(s.isNull(), r.seeded).otherwise(r.a * s + r.b))
+    return listed.select(F.col("key").cast(kind).alias(key), ema.alias("ema"), F.aggregate("xs", F.lit(0).cast("bigint"), lambda s, r: s + r.n).cast("int").alias("n"))
 
 
 def average_before(rows: DataFrame, key: str, order: list[str], value: str, keep: float = 0.9) -> DataFrame:

@@ -9,6 +9,7 @@ from fieldloom.operators import graph, knn, partitions as P
 from fieldloom.plans import field, texts
 from fieldloom.plans.registry import query
 from fieldloom.session import materialise
+from fieldloom.sources import files
 from fieldloom.sources.tables import table
 
 
@@ -72,10 +73,20 @@ def co_classification(spark, sf):
 def seed_stability(spark, sf):
     """ARI of partitions with other seeds against the first."""
     nodes, links = field.field(spark, sf).select(F.col("id").alias("node")), materialise(field.mutual(spark, sf), "mutual")
-    first = materialise(graph.louvain(nodes, links, seed=0, sweeps=4, levels=1), "first").select("node", F.col("community").alias("x"))
+    first = materialise(graph.louvain(nodes, links, seed=0), "first").select("node", F.col("community").alias("x"))
     out = None
     for s in (1, 2):
-        pairs = first.join(graph.louvain(nodes, links, seed=s, sweeps=4, levels=1).select("node", F.col("community").alias("y")), "node")
+        pairs = first.join(graph.louvain(nodes, links, seed=s).select("node", F.col("community").alias("y")), "node")
         one = P.adjusted_rand(pairs).withColumn("seed", F.lit(s))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+@query("selftest_digest")
+def selftest_digest(spark, sf, seed: int = 20260903, n: int = 20_000, dim: int = 256, head: int = 64):
+    """Digest of a two-pass scan over synthetic vectors, which a seed gives alike on any machine: coarse top 512, fine top 32."""
+    vectors = lambda rows, width, k: files.synthetic_i8(spark, rows, width, seed + k)
+    one = lambda width, k: vectors(1, width, k).select(F.col("v").alias("query"))
+    hits = knn.two_pass(vectors(n, head, 1), vectors(n, dim, 2), one(head, 3), one(dim, 4), V.int_dot(F.col("v"), F.col("query")), 512, 32)
+    rows = [(r.id, r.score) for r in hits.orderBy(F.desc("score"), "id").collect()]  # 32 rows
+    return spark.createDataFrame([(seed, len(rows), knn.digest(rows))], "seed bigint, hits int, digest string")

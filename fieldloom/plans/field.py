@@ -146,7 +146,7 @@ def bridge_merge(spark, sf):
 def bridges_out(spark, sf):
     """Bridges with exactly one end in lane 3."""
     m = field(spark, sf).where("label = 3").select("id")
-    b = bridge_rows(spark, sf).join(F.broadcast(m.select(F.col("id").alias("a"), F.lit(True).alias("ia"))), "a", "left").join(F.broadcast(m.select(F.col("id").alias("b"), F.lit(True).alias("ib"))), "b", "left")
+    b = bridge_rows(spark, sf).join(m.select(F.col("id").alias("a"), F.lit(True).alias("ia")), "a", "left").join(m.select(F.col("id").alias("b"), F.lit(True).alias("ib")), "b", "left")
     return b.where(F.col("ia").isNull() != F.col("ib").isNull()).select("a", "b", "w")
 
 
@@ -190,7 +190,7 @@ def modularity(spark, sf):
 @query("louvain_partition")
 def louvain_partition(spark, sf):
     f = field(spark, sf).select(F.col("id").alias("node"))
-    return graph.louvain(f, mutual(spark, sf), sweeps=6, levels=2)
+    return graph.louvain(f, mutual(spark, sf))
 
 
 @query("partition_consensus")
@@ -202,7 +202,7 @@ def partition_consensus(spark, sf, runs: int = 3):
     links = materialise(mutual(spark, sf), "mutual")
     runs_ = None
     for s in range(runs):
-        one = graph.louvain(nodes, links, seed=s, sweeps=4, levels=1).withColumn("run", F.lit(s))
+        one = graph.louvain(nodes, links, seed=s).withColumn("run", F.lit(s))
         runs_ = one if runs_ is None else runs_.unionByName(one)
     return graph.consensus(nodes, links, runs_)
 
@@ -279,7 +279,7 @@ def assign_capped(spark, sf):
     f = field(spark, sf)
     cut = f.agg(F.floor(F.count_distinct("grp") * 0.8)).first()[0]
     base = P.mean_vectors(f.where(F.col("grp") < cut), "label", "v").select(F.col("label").cast("bigint").alias("community"), "centroid", "n")
-    return P.assign_capped(f.where(F.col("grp") >= cut), base, "id", "v", 1.2)
+    return P.assign_capped(f.where(F.col("grp") >= cut), base, "id", "v")
 
 
 CURVE = U + ", s AS (SELECT a.vec_id, a.doc, max(round(list_inner_product(a.v, b.v), 6)) AS best FROM u a JOIN u b ON b.doc < a.doc GROUP BY ALL), curve AS (SELECT doc, avg(1 - best) AS residual, avg((best >= 0.45::DOUBLE)::INT::DOUBLE) AS retelling_share, count(*) AS n_chunks FROM s GROUP BY 1)"
@@ -310,7 +310,7 @@ def shuffled_deciles(spark, sf, shuffles: int = 3) -> DataFrame:
     f, out = field(spark, sf), None
     docs = f.select("grp").distinct()
     for s in range(shuffles):
-        order = docs.select("grp", (F.row_number().over(Window.orderBy(F.md5(F.concat(F.lit(f"{s}-"), F.col("grp").cast("string"))), "grp"))).cast("bigint").alias("pos"))
+        order = S.running(docs, [F.md5(F.concat(F.lit(f"{s}-"), F.col("grp").cast("string"))), "grp"], "pos")
         one = S.deciles(S.residual_curve(f.drop("pos").join(order, "grp").select("id", "grp", "pos", "v"), 0.45)).withColumn("s", F.lit(s))
         out = one if out is None else out.unionByName(one)
     return out.groupBy("decile").agg(F.avg("residual").alias("shuffled"))
@@ -339,7 +339,7 @@ Z = "WITH d AS (SELECT doc_id, min(arrival_pos) AS pos, avg(residual) AS residua
 def stored_scores(spark, sf) -> DataFrame:
     """(i, residual) of the stored document scores in arrival order; repeated rows are averaged, null ones left out."""
     d = table(spark, sf, "doc_scores").where("residual is not null and arrival_pos is not null").groupBy("doc_id").agg(F.min("arrival_pos").alias("pos"), F.avg("residual").alias("residual"))
-    return d.select("residual", (F.row_number().over(Window.orderBy("pos", "doc_id")) - 1).alias("i"))
+    return S.running(d, ["pos", "doc_id"], "i").select("residual", "i")
 
 
 @query("front_z", Z + " SELECT i, round(z, 6) AS z FROM z")

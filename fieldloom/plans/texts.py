@@ -81,7 +81,7 @@ def load_report(spark, sf):
 @query("dense_ids", "SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1)::INT AS i FROM documents WHERE length(text) > 0")
 def dense_ids(spark, sf):
     """Ids without gaps after empty documents are dropped."""
-    return docs(spark, sf).where(F.length("text") > 0).select("doc_id", (F.row_number().over(Window.orderBy("doc_id")) - 1).alias("i"))
+    return docs(spark, sf).where(F.length("text") > 0).select("doc_id").transform(lambda d: S.running(d, ["doc_id"], "i"))
 
 
 @query("visible_pairs", "WITH v AS (SELECT doc_id FROM documents WHERE when_s <= 1748736000 AND source NOT IN ('inbox', 'drafts')), s AS (SELECT doc_id AS a, lead(doc_id) OVER (PARTITION BY source ORDER BY when_s, doc_id) AS b FROM documents WHERE when_s IS NOT NULL) SELECT a, b FROM s WHERE a IN (FROM v) AND b IN (FROM v)")
@@ -330,13 +330,6 @@ def lane_ema(spark, sf):
     return lane_state(spark, sf).select("lane", F.round("ema", 6).alias("ema_r2"), "n")
 
 
-@query("lane_priority", LANES + " SELECT chunk_id, residual, round(residual::DOUBLE / sqrt(ema), 4) AS priority FROM p JOIN ema USING (lane) WHERE chunk_id % 50 = 0")
-def lane_priority(spark, sf):
-    """Residual over the lane's volatility, of every fiftieth placed passage."""
-    p = placed(spark, sf).where("chunk_id % 50 = 0").join(F.broadcast(lane_state(spark, sf)), "lane")
-    return p.select("chunk_id", "residual", F.round(F.col("residual").cast("double") / F.sqrt("ema"), 4).alias("priority"))
-
-
 @query("lane_priorities", "WITH p AS (SELECT DISTINCT chunk_id, lane, residual, placed_at FROM placements WHERE residual IS NOT NULL AND lane IS NOT NULL AND placed_at IS NOT NULL), l AS (SELECT *, list((residual::DOUBLE) * (residual::DOUBLE)) OVER (PARTITION BY lane ORDER BY placed_at, chunk_id, residual ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS xs FROM p), e AS (SELECT *, CASE WHEN len(xs) > 0 THEN list_reduce(xs, lambda s, x: 0.9::DOUBLE * s + 0.1::DOUBLE * x) END AS ema FROM l) SELECT chunk_id, placed_at, residual, CASE WHEN ema > 0 THEN round(residual::DOUBLE / sqrt(ema), 4) END AS priority FROM e")
 def lane_priorities(spark, sf):
     """Residual of every placement over its lane's volatility before it; null where the lane has none yet."""
@@ -352,15 +345,6 @@ def place_verdicts(spark, sf):
     return p.select("chunk_id", "placed_at", tape.verdict(F.col("residual"), F.col("entropy") > 1, f(0.05), f(0.45), f(0.30)).alias("verdict"))
 
 
-@query("place_entropy", "WITH m AS (SELECT DISTINCT chunk_id, community_of FROM memberships WHERE partition_version = 2 AND community_of >= 0), p AS (SELECT c.lane, m.community_of AS k, count(*) AS n FROM m JOIN chunks c USING (chunk_id) GROUP BY ALL), t AS (SELECT lane, sum(n) AS t FROM p GROUP BY 1) SELECT lane, round(0::DOUBLE - sum(n / t * ln(n / t)), 6) AS entropy FROM p JOIN t USING (lane) GROUP BY 1")
-def place_entropy(spark, sf):
-    """Entropy of each lane's communities."""
-    m = table(spark, sf, "memberships").where("partition_version = 2 and community_of >= 0").select("chunk_id", "community_of").distinct()
-    p = m.join(table(spark, sf, "chunks").select("chunk_id", "lane"), "chunk_id").groupBy("lane", "community_of").agg(F.count("*").alias("n"))
-    share = F.col("n") / F.sum("n").over(Window.partitionBy("lane"))
-    return p.withColumn("p", share).groupBy("lane").agg(F.round(F.lit(0.0) - F.sum(F.col("p") * F.log("p")), 6).alias("entropy"))
-
-
 @query("dossier_census", "WITH d AS (SELECT doc_id, source, n_chars, when_s FROM documents WHERE regexp_matches(text, '(?i)\\bledger\\b')), c AS (SELECT doc_id, count(*) AS n, sum(n_tokens) AS tk FROM chunks WHERE doc_id IN (SELECT doc_id FROM d) GROUP BY 1) SELECT count(*) AS documents, count(DISTINCT source) AS lanes, sum(n)::BIGINT AS passages, sum(tk)::BIGINT AS tokens, min(when_s) AS first_s, max(when_s) AS last_s, round(count(*) / (SELECT count(*) FROM documents), 2) AS share FROM d LEFT JOIN c USING (doc_id)")
 def dossier_census(spark, sf):
     """What the corpus holds on a topic."""
@@ -391,8 +375,7 @@ def set_operations(spark, sf):
 def metering(spark, sf):
     """Calls made in order while the money spent so far stays below the cap."""
     c = table(spark, sf, "chunks").where("n_tokens is not null").select("chunk_id", ((F.col("n_tokens") * 0.14 + 200 * 0.28) / 1000000).alias("cost"))
-    spent = F.coalesce(F.sum("cost").over(Window.orderBy("chunk_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return c.withColumn("spent", spent).where("spent < 0.05").select("chunk_id", F.round("cost", 9).alias("cost"))
+    return S.running(c, ["chunk_id"], "spent", F.col("cost")).where("spent < 0.05").select("chunk_id", F.round("cost", 9).alias("cost"))
 
 
 STREAM = "CASE WHEN kind = 'text' AND session_uuid IS NOT NULL THEN session_uuid ELSE doc_id::VARCHAR END"

@@ -12,6 +12,10 @@ from fieldloom.functions import text as T, vectors as V
 
 #: Bytes of an admissible file, tokens of a chunk, and characters a chunk must exceed: the reference's limits.
 LEAST_BYTES, MOST_BYTES, CHUNK_TOKENS, LEAST_CHARS = 800, 320_000, 700, 200
+#: Tokens of a chunk that the next one of its section repeats.
+OVERLAP_TOKENS = 40
+# Fixed value: the odd constant of the splitmix64 generator.
+GOLDEN = 0x9E3779B97F4A7C15
 
 
 def collect_files(spark: SparkSession, roots: list[tuple[str, str]], glob: str = "*.md") -> DataFrame:
@@ -39,20 +43,24 @@ _SECTION = re.compile(r"<!--\s*section:\s*(.*?)\s*-->")
 _HEADING = re.compile(r"#{1,6}\s+(.*)")
 
 
-def split_chunks(text: str | None, budget: int = CHUNK_TOKENS) -> list[tuple[str, str]]:
+def split_chunks(text: str | None, budget: int = CHUNK_TOKENS, overlap: int = OVERLAP_TOKENS) -> list[tuple[str, str]]:
     """(section, body) of the chunks of one text: whole lines packed up to the budget of tokens (characters / 4).
 
     A heading or a section comment starts a chunk; recap comments and the quotes after them are left out; bodies of LEAST_CHARS
-    characters or fewer are dropped. A line longer than the budget stands alone.
+    characters or fewer are dropped. A line longer than the budget stands alone. A chunk that the budget closes hands its last
+    whole lines of up to `overlap` tokens on to the next.
     """
     out, section, lines, size, recap = [], "", [], 0, False
 
-    def close() -> None:
+    def close(full: bool = False) -> None:
         nonlocal lines, size
         body = "\n".join(lines).strip()
         if len(body) > LEAST_CHARS:
             out.append((section[:160], body))
-        lines, size = [], 0
+        kept: list[str] = []
+        while full and lines[1:] and sum(map(len, kept)) + len(kept) + len(lines[-1]) <= overlap * 4:
+            kept.insert(0, lines.pop())
+        lines, size = kept, sum(map(len, kept)) + len(kept)
 
     for line in (text or "").split("\n"):
         if line.startswith("<!--"):
@@ -65,8 +73,8 @@ def split_chunks(text: str | None, budget: int = CHUNK_TOKENS) -> list[tuple[str
             continue
         recap = False
         m = _HEADING.match(line)
-        if m or size + len(line) > budget * 4:
-            close()
+        if m or (lines and size + len(line) > budget * 4):
+            close(full=not m)
         if m:
             section = m[1]
         lines.append(line)
@@ -125,13 +133,16 @@ def to_json_lines(df: DataFrame, path: str) -> None:
 
 
 def synthetic_i8(spark: SparkSession, n: int, dim: int, seed: int) -> DataFrame:
-    """(id, v): counter-based int8 vectors from splitmix64 of the element's index and seed; the same on any partitioning."""
+    """(id, v): counter-based int8 vectors: the splitmix64 finaliser of index + golden * (seed + 1), its low byte less 128.
+
+    The same on any partitioning; index is the element's place in the whole matrix.
+    """
 
     def run(batches):
         for b in batches:
             ids = np.asarray(b.column(0)).astype(np.uint64)
             index = ids[:, None] * np.uint64(dim) + np.arange(dim, dtype=np.uint64)[None, :]
-            z = (index + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)
+            z = index + np.uint64(GOLDEN * (seed + 1) % (1 << 64))
             z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
             z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
             z ^= z >> np.uint64(31)
