@@ -6,7 +6,7 @@ import importlib
 
 from fieldloom.plans import registry
 
-PLANS = ("field", "texts", "superset", "streams", "declared")
+PLANS = ("field", "texts", "passages", "superset", "streams", "declared")
 
 
 def _load() -> None:
