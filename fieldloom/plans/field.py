@@ -93,10 +93,13 @@ def knn_top3(spark, sf):
 
 
 @query("knn_links", NEAR + ", l AS (SELECT a AS x, b AS y, w FROM edges UNION ALL SELECT b, a, w FROM edges) SELECT u.vec_id, count(l.y) AS links, count(l.y) FILTER (WHERE l.w >= 0.45::DOUBLE) AS dup_links FROM u LEFT JOIN l ON l.x = u.vec_id GROUP BY 1")
-def knn_links(spark, sf):
-    """Of each vector its number of symmetrised top-3 links, and of those that are duplicates (dup) rather than sem."""
+def knn_links(spark, sf, duplicate: float = 0.45):
+    """Of each vector its number of symmetrised top-3 links, and of those that are duplicates rather than sem.
+
+    The vectors of embeddings have no pair at .97; passage_links has that threshold on the passages.
+    """
     both = graph.both_ways(edges(spark, sf))
-    n = both.groupBy("src").agg(F.count("*").alias("links"), F.count_if(F.col("w") >= 0.45).alias("dup_links"))
+    n = both.groupBy("src").agg(F.count("*").alias("links"), F.count_if(F.col("w") >= duplicate).alias("dup_links"))
     return field(spark, sf).select(F.col("id").alias("vec_id")).join(n, F.col("vec_id") == F.col("src"), "left").select("vec_id", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("dup_links", F.lit(0)).alias("dup_links"))
 
 
@@ -265,7 +268,13 @@ def partition_ari(spark, sf):
     return P.adjusted_rand(versions(spark, sf).select(F.col("before").alias("x"), F.col("after").alias("y")))
 
 
-@query("fold_small")
+FOLD = NEAR + """, l AS (SELECT a AS x, b AS y FROM mutual UNION ALL SELECT b, a FROM mutual), comp AS (WITH RECURSIVE r(x, y) AS (SELECT vec_id, vec_id FROM u UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x) SELECT x AS id, min(y) AS k FROM r GROUP BY 1),
+sz AS (SELECT k, count(*) AS n FROM comp GROUP BY 1), kept AS (SELECT k FROM sz WHERE n >= 3 OR (k = (SELECT k FROM sz ORDER BY n DESC, k LIMIT 1) AND (SELECT max(n) FROM sz) < 3)), x AS (SELECT k, unnest(v) AS x, generate_subscripts(v, 1) AS dim FROM comp JOIN kept USING (k) JOIN u ON vec_id = id), a AS (SELECT k, dim, avg(x) AS x FROM x GROUP BY ALL),
+z AS (SELECT k, sqrt(sum(x * x)) + 1e-9::DOUBLE AS n FROM a GROUP BY 1), cent AS (SELECT k, list(x / n ORDER BY dim) AS v FROM a JOIN z USING (k) GROUP BY 1), near AS (SELECT id, cent.k, row_number() OVER (PARTITION BY id ORDER BY round(list_inner_product(u.v, cent.v), 6) DESC, cent.k) AS r FROM comp JOIN u ON vec_id = id, cent WHERE comp.k NOT IN (FROM kept))
+SELECT id, k AS community FROM comp WHERE k IN (FROM kept) UNION ALL SELECT id, k FROM near WHERE r = 1"""
+
+
+@query("fold_small", FOLD)
 def fold_small(spark, sf):
     """Components below three members folded into the nearest larger one."""
     f = field(spark, sf)
@@ -273,7 +282,14 @@ def fold_small(spark, sf):
     return P.fold_small(f, comp, "id", "v")
 
 
-@query("assign_capped")
+CAPPED = U + """, cut AS (SELECT floor(count(DISTINCT doc) * 0.8::DOUBLE) AS cut FROM u), x AS (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS dim FROM u, cut WHERE doc < cut), a AS (SELECT label, dim, avg(x) AS x FROM x GROUP BY ALL), z AS (SELECT label, sqrt(sum(x * x)) + 1e-9::DOUBLE AS n FROM a GROUP BY 1),
+k AS (SELECT label, count(*) AS n FROM u, cut WHERE doc < cut GROUP BY 1), cent AS (SELECT label, list(x / z.n ORDER BY dim) AS v FROM a JOIN z USING (label) GROUP BY 1), names AS (SELECT label, v, k.n, row_number() OVER (ORDER BY label) AS c FROM cent JOIN k USING (label)), cap AS (SELECT greatest(1, floor(2 * avg(n)))::BIGINT AS cap FROM names),
+prefs AS (SELECT vec_id, list(c ORDER BY round(list_inner_product(u.v, names.v), 6) DESC, names.label) AS p FROM u, cut, names WHERE doc >= cut GROUP BY 1), nw AS (SELECT *, row_number() OVER (ORDER BY vec_id) AS i FROM prefs),
+rec AS (WITH RECURSIVE rec(i, rooms, vec_id, pick) AS (SELECT 0::BIGINT, (SELECT list(greatest(cap - n, 0) ORDER BY c) FROM names, cap), NULL::BIGINT, NULL::BIGINT UNION ALL SELECT i, list_transform(rooms, lambda room, j: CASE WHEN j = pick THEN room - 1 ELSE room END), vec_id, pick FROM (SELECT nw.i, r.rooms, nw.vec_id, list_filter(nw.p, lambda c: r.rooms[c] > 0)[1] AS pick FROM rec r JOIN nw ON nw.i = r.i + 1)) SELECT vec_id, pick FROM rec WHERE i > 0)
+SELECT vec_id AS id, coalesce(label, -1)::BIGINT AS community FROM rec LEFT JOIN names ON c = pick"""
+
+
+@query("assign_capped", CAPPED)
 def assign_capped(spark, sf):
     """Vectors of the later documents join the frozen communities of the earlier ones, each up to twice the mean size."""
     f = field(spark, sf)

@@ -18,10 +18,11 @@ def stream_lane_ema(spark, sf):
     return last.select("lane", F.round("ema", 6).alias("ema"), "n")
 
 
-@query("stream_windows")
+@query("stream_windows", "SELECT time_bucket(INTERVAL '6 hours', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def stream_windows(spark, sf):
-    """Six-hour windows of the events by type, closed by a watermark of a day."""
-    return jobs.drain(jobs.windowed_counts(jobs.source(spark, f"{sf}/events.parquet")), "windows").select("start", "event_type", "n", F.round("total", 4).alias("total"))
+    """Six-hour windows of the events by type under a watermark of a day, with those that are still open at the end."""
+    out = jobs.drain_updates(jobs.windowed_counts(jobs.source(spark, f"{sf}/events.parquet")), "windows", ["start", "event_type"])
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query("stream_first_deliveries", "SELECT hash_hex, min(record_id) AS record_id FROM tape_records WHERE t_tape IS NOT NULL GROUP BY 1")

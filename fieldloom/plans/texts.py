@@ -304,7 +304,12 @@ def cc_fusion(spark, sf):
     return L.convex_fusion([(bm(spark, sf), 0.7), (novel, 0.3)], "doc_id")
 
 
-@query("ask_plan")
+FIRED = RRF + ", lk AS (SELECT doc_id AS a, lead(doc_id) OVER (PARTITION BY source ORDER BY when_s, doc_id) AS b FROM documents WHERE when_s IS NOT NULL), el AS (SELECT a AS x, b AS y FROM lk WHERE b IS NOT NULL UNION ALL SELECT b, a FROM lk WHERE b IS NOT NULL), sd AS (SELECT doc_id, row_number() OVER (ORDER BY rrf DESC, doc_id) AS k FROM rrf QUALIFY k <= 6), f0 AS (SELECT doc_id, rrf FROM rrf)"
+for _k in range(1, 7):  # seed after seed
+    FIRED += f", f{_k} AS (SELECT doc_id, sum(rrf) AS rrf FROM (SELECT * FROM f{_k - 1} UNION ALL SELECT y, 0.35::DOUBLE * own.rrf * 0.5::DOUBLE FROM sd JOIN f{_k - 1} own ON own.doc_id = sd.doc_id JOIN el ON x = sd.doc_id WHERE sd.k = {_k}) GROUP BY 1)"
+
+
+@query("ask_plan", FIRED + ", top AS (SELECT doc_id, round(rrf, 9) AS rrf FROM f6 ORDER BY 2 DESC, doc_id LIMIT 8) SELECT doc_id, rrf, source, substr(text, 1, 120) AS span FROM top LEFT JOIN documents USING (doc_id)")
 def ask_plan(spark, sf):
     """The read plan: fused list, six seeds fired over succession links one after another, the best eight with their text."""
     fired = L.fire(fused(spark, sf), succession_rows(spark, sf), "doc_id")
