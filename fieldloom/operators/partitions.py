@@ -45,10 +45,10 @@ def fold_small(rows: DataFrame, membership: DataFrame, id_col: str, vec: str, le
     return members.select(id_col, "community").unionByName(nearest_centroid(orphans, cents, id_col, vec).select(id_col, "community"))
 
 
-def assign_capped(new: DataFrame, centroids: DataFrame, id_col: str = "id", vec: str = "v", cap_factor: float = 2.0) -> DataFrame:
+def assign_capped(new: DataFrame, centroids: DataFrame, id_col: str = "id", vec: str = "v", cap_factor: float = 2.0, cap: int | None = None) -> DataFrame:
     """(id, community): in order of id each vector joins the nearest community with room, else -1. Nothing that exists moves.
 
-    centroids: (community, centroid, n). cap = max(1, int(cap_factor * mean n)). One row after another by definition, so
+    centroids: (community, centroid, n). cap = max(1, int(cap_factor * mean n)) unless given. One row after another by definition, so
     the decisions are taken in rounds: all vectors bid for their best open community, each community admits the first
     bids by id up to its room, and a vector refused by a full one bids for its next. A vector may only be displaced by an
     earlier one, so the outcome is the sequential one; a round is a shuffle.
@@ -56,7 +56,7 @@ def assign_capped(new: DataFrame, centroids: DataFrame, id_col: str = "id", vec:
     stats = centroids.agg(F.avg("n").alias("mean"), F.count("*").alias("c")).first()
     if not stats.c:
         return new.select(id_col, F.lit(-1).cast("bigint").alias("community"))
-    cap = max(1, int(cap_factor * stats["mean"]))
+    cap = max(1, int(cap_factor * stats["mean"])) if cap is None else cap
     cents = centroids.select("community", "centroid", F.greatest(F.lit(cap) - F.col("n"), F.lit(0)).alias("room")).orderBy("community").toPandas()
     matrix = np.stack(cents.centroid.map(np.asarray)).astype(np.float64)
     names, room = cents.community.to_numpy(np.int64), cents.room.to_numpy(np.int64)

@@ -1,4 +1,4 @@
-"""The engine as an object: the verbs build, ask, place, dossier, unit_map, converge, fronts, report, partition, stability, provenance."""
+"""The engine as an object: the verbs build, ask, place, dossier, unit_map, converge, fronts, report, partition, stability, grow, provenance; and a command line."""
 
 from __future__ import annotations
 
@@ -50,13 +50,13 @@ class Engine:
         return top.join(spans, "chunk_id").select("chunk_id", "rrf", rung.alias("needs"), (best < 0.5).alias("absent"), "span")
 
     def place(self, new: DataFrame) -> DataFrame:
-        """(chunk_id, nbr, residual, verdict) of new chunks (chunk_id, vec) against the field."""
+        """(chunk_id, nbr, residual, bridging, verdict) of new chunks (chunk_id, vec) against the field."""
         side = lambda d, g: d.select(F.col("chunk_id").alias("id"), F.lit(g).cast("bigint").alias("grp"), F.lit(0).cast("bigint").alias("pos"), F.col("vec").alias("v"))
         best = knn.block_topk(side(new, -1), side(self.chunks, -2), 5)
         community = self.chunks.select(F.col("chunk_id").alias("nbr"), "lane")
         per = best.join(community, "nbr").groupBy("q").agg(F.max("w").alias("w"), F.max_by("nbr", F.struct("w", -F.col("nbr"))).alias("nbr"), F.count_distinct(F.when(F.col("w") >= self.bridge, F.col("lane"))).alias("lanes"))
         residual = 1 - F.col("w")
-        return per.select(F.col("q").alias("chunk_id"), "nbr", F.round(residual, 6).alias("residual"), tape.verdict(residual, F.col("lanes") > 1).alias("verdict"))
+        return per.select(F.col("q").alias("chunk_id"), "nbr", F.round(residual, 6).alias("residual"), (F.col("lanes") > 1).alias("bridging"), tape.verdict(residual, F.col("lanes") > 1).alias("verdict"))
 
     def converge(self, shuffles: int = 3) -> DataFrame:
         """(decile, residual, shuffled, advantage) of arrival order against shuffled ones."""
@@ -105,6 +105,48 @@ class Engine:
         """(month, documents): when the corpus speaks of a topic."""
         return self.documents.where(T.mentions(F.col("text"), topic)).groupBy(F.date_format(F.timestamp_seconds("when_s"), "yyyy-MM").alias("month")).agg(F.count("*").alias("documents"))
 
+    def dossier_documents(self, topic: str) -> DataFrame:
+        """(doc_id, when_s, month, chunks, share): the documents that speak of a topic, with how many of their chunks do."""
+        hit = self.chunks.where(T.mentions(F.col("body"), topic)).groupBy("doc_id").agg(F.count("*").alias("chunks"))
+        every = self.chunks.groupBy("doc_id").agg(F.count("*").alias("all"))
+        dated = self.documents.select("doc_id", "when_s", F.date_format(F.timestamp_seconds("when_s"), "yyyy-MM").alias("month"))
+        return hit.join(every, "doc_id").join(dated, "doc_id").select("doc_id", "when_s", "month", "chunks", F.round(F.col("chunks") / F.col("all"), 2).alias("share"))
+
+    def place_documents(self, new: DataFrame, lanes: DataFrame) -> DataFrame:
+        """(doc_id, residual, bridges, verdict, priority, ema_after) of new chunks (chunk_id, doc_id, lane, vec); lanes: (lane, ema)."""
+        per = self.place(new).join(new.select("chunk_id", "doc_id", F.col("lane").alias("sent")), "chunk_id")
+        d = per.groupBy("doc_id", F.col("sent").alias("lane")).agg(F.avg("residual").alias("r"), F.avg(F.col("residual") * F.col("residual")).alias("r2"), F.count_if(F.col("bridging")).alias("bridges")).join(lanes, "lane", "left")
+        after = F.when(F.col("ema").isNull(), F.col("r2")).otherwise(0.9 * F.col("ema") + 0.1 * F.col("r2"))
+        return d.select("doc_id", "lane", F.round("r", 6).alias("residual"), "bridges", tape.verdict(F.col("r"), F.col("bridges") > 0).alias("verdict"), F.when(F.col("ema") > 0, F.col("r") / F.sqrt("ema")).alias("priority"), after.alias("ema_after"))
+
+    def unit_map(self, labels: DataFrame, central: int = 6) -> DataFrame:
+        """(community, chunk_id, w, r, span) of the most central chunks of each community. labels: (id, community)."""
+        from pyspark.sql import Window
+
+        r = self.chunks.select(F.col("chunk_id").alias("id"), F.col("vec").alias("v"), "body").join(labels, "id")
+        scored = r.join(P.mean_vectors(r, "community", "v").select("community", "centroid"), "community").withColumn("w", F.round(V.dot(F.col("v"), F.col("centroid")), 6))
+        rank = F.row_number().over(Window.partitionBy("community").orderBy(F.desc("w"), "id"))
+        return scored.withColumn("r", rank).where(F.col("r") <= central).select("community", F.col("id").alias("chunk_id"), "w", "r", T.snippet(F.col("body")).alias("span"))
+
+    def report(self) -> DataFrame:
+        """One row: documents, chunks, quantiles of the residuals and the number of fronts."""
+        curve = materialise(S.residual_curve(self.rows(), self.duplicate), "report")
+        q = lambda p: F.round(F.percentile("residual", F.lit(p)), 4)
+        fronts = S.fronts(S.front_z(S.running(curve, ["pos"], "i"))).agg(F.count("*").alias("fronts"))
+        sizes = self.documents.where("when_s is not null").agg(F.count("*").alias("documents")).join(self.chunks.agg(F.count("*").alias("chunks")))
+        return sizes.join(curve.agg(q(0.1).alias("q10"), q(0.5).alias("q50"), q(0.9).alias("q90"))).join(fronts)  # one-row tables
+
+    def stability(self, seeds: int = 3) -> DataFrame:
+        """One row: mean and worst ARI of partitions by other seeds against the first."""
+        r = materialise(self.rows(), "stability")
+        nodes, links = r.select(F.col("id").alias("node")), materialise(knn.both_list(knn.block_topk(r, r, 10, 0.50)), "mutual")
+        first = graph.louvain(nodes, links, seed=0).select("node", F.col("community").alias("x"))
+        out = None
+        for s in range(1, seeds):
+            one = P.adjusted_rand(first.join(graph.louvain(nodes, links, seed=s).select("node", F.col("community").alias("y")), "node"))
+            out = one if out is None else out.unionByName(one)
+        return out.agg(F.avg("ari").alias("mean_ari"), F.min("ari").alias("worst_ari"))
+
     def provenance(self, messages: DataFrame, n: int = 12) -> DataFrame:
         """(chunk, message, shared) by exact runs of n words. messages: (message, body)."""
         return L.shared_grams(self.chunks.select(F.col("chunk_id").alias("chunk"), "body"), messages, "chunk", "message", "body", n)
@@ -116,18 +158,23 @@ def _all():
     return Window.partitionBy(F.lit(0))
 
 
+#: Verbs of the command line and the queries that answer them.
+VERBS = {"build": "passage_links", "ask": "ask_plan", "place": "place_documents", "dossier": "dossier_documents", "codex": "unit_central", "converge": "advantage", "fronts": "fronts", "report": "report", "partition": "partition_consensus", "stability": "seed_stability", "grow": "grow", "provenance": "provenance_links", "what_changed": "typed_deltas", "selftest": "selftest_digest"}
+
+
 def main(argv: list[str] | None = None) -> None:
-    """python -m fieldloom.plans.engine QUERY FOLDER: show a query of the catalogue over a folder of tables."""
+    """python -m fieldloom.plans.engine VERB|QUERY FOLDER: show a query of the catalogue over a folder of tables; `about` lists them."""
     import sys
 
     from fieldloom.session import get_session
 
     args = sys.argv[1:] if argv is None else argv
     names = catalogue.queries()
-    if len(args) != 2 or args[0] not in names:
-        print("usage: engine QUERY FOLDER\nqueries:", *sorted(names), sep="\n  ")
+    name = VERBS.get(args[0], args[0]) if args else ""
+    if len(args) != 2 or name not in names:
+        print("usage: engine VERB|QUERY FOLDER\nverbs:", *(f"{v} ({q})" for v, q in VERBS.items()), "queries:", *sorted(names), sep="\n  ")
         return
-    names[args[0]](get_session(), args[1]).show(40, truncate=80)
+    names[name](get_session(), args[1]).show(40, truncate=80)
 
 
 if __name__ == "__main__":

@@ -75,6 +75,51 @@ def first_deliveries(records: DataFrame, key: str, at: str, within: str = "30 da
     return records.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, within).dropDuplicatesWithinWatermark([key])
 
 
+def frozen_assignments(stream: DataFrame, centroids: DataFrame, cap: int, name: str) -> DataFrame:
+    """(id, community) of arriving vectors (id, v) in a frozen partition: the nearest community with room for it, else -1.
+
+    Each micro-batch starts from the sizes that the earlier ones left, kept beside the output; the assigned never move. A batch
+    that runs again after a failure replaces what its first run wrote and sees only the batches before it.
+    """
+    from fieldloom.operators.partitions import assign_capped
+
+    spark, out = stream.sparkSession, new_path(stream.sparkSession, name)
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        sizes = centroids
+        if batch_id:
+            taken = spark.read.schema("id bigint, community bigint, batch bigint").parquet(out).where(F.col("batch") < batch_id).groupBy("community").agg(F.count("*").alias("more"))
+            sizes = centroids.join(taken, "community", "left").select("community", "centroid", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"))
+        assign_capped(batch, sizes, cap=cap).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    stream.select("id", "v").writeStream.foreachBatch(each).option("checkpointLocation", out + "-progress").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("id bigint, community bigint, batch bigint").parquet(out).drop("batch")
+
+
+def lane_fronts(rows: DataFrame, window: int = 8, trailing: int = 40) -> DataFrame:
+    """(lane, i, z) as soon as the window after a lane's i-th value is full: its mean against the `trailing` values before.
+
+    rows: (lane, at, r). The state of a lane is its count and its last window + trailing values. Within a micro-batch rows are taken
+    by (at, r); rows with a null lane or value are skipped. z is 0 where the trailing values deviate by 1e-9 or less.
+    """
+    kept = window + trailing
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, last = state.get if state.exists else (0, [])
+        last, out = list(last), []
+        for r in pd.concat(list(batches)).sort_values(["at", "r"]).r:
+            last, n = [*last, r][-kept:], n + 1
+            if len(last) == kept:
+                past = pd.Series(last[:trailing])
+                sd = past.std(ddof=0)
+                out.append((key[0], n - window, (sum(last[trailing:]) / window - past.mean()) / sd if sd > 1e-9 else 0.0))
+        state.update((n, last))
+        yield pd.DataFrame(out, columns=["lane", "i", "z"])
+
+    clean = rows.where("lane is not null and r is not null").select("lane", "at", F.col("r").cast("double").alias("r"))
+    return clean.groupBy("lane").applyInPandasWithState(step, "lane string, i long, z double", "n long, last array<double>", "append", GroupStateTimeout.NoTimeout)
+
+
 def score_then_insert(stream: DataFrame, field_path: str, score, name: str) -> DataFrame:
     """Prequential order: score(batch, field so far) is written for each micro-batch before the batch joins the field.
 
