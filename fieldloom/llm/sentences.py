@@ -15,13 +15,13 @@ from dataclasses import dataclass, field
 from math import exp, log
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fieldloom.session import discard, materialise
 from fieldloom.sources.tables import table
 
-#: A type enters the model from this count on; of each language and kind the model, which is sent to all tasks, holds the MOST_TYPES commonest at most.
-LEAST_COUNT, MOST_TYPES = 4, 100_000
+#: A type enters the model from this count on.
+LEAST_COUNT = 4
 #: Least score of an abbreviation; a starter follows a sure end in this share of its uses, a word inside sentences in less than INSIDE.
 ABBREVIATION, STARTER, INSIDE = 0.3, 0.5, 0.3
 #: Least log-likelihood ratio of a sentence starter, and of a collocation.
@@ -240,6 +240,15 @@ def score(with_period: int, without: int, tokens: int, periods: int, kind: str)
     return ratio * exp(-letters) * (kind.count(".") + 1) * letters ** -min(without, 50)
 
 
+def _score(with_period, without, tokens, periods, kind) -> Column:
+    """score() of columns, but for the last digits."""
+    with_period, without, tokens, periods, kind = (F.col(c) if isinstance(c, str) else c for c in (with_period, without, tokens, periods, kind))
+    n, p = with_period + without, F.greatest(F.least(periods / F.greatest(tokens, F.lit(1)), F.lit(0.999)), F.lit(1e-6))
+    like = lambda k, q: k * F.log(F.greatest(q, F.lit(1e-12))) + (n - k) * F.log(F.greatest(1 - q, F.lit(1e-12)))
+    letters = F.length(F.replace(kind, F.lit("."), F.lit("")))
+    return 2 * (like(with_period, F.lit(0.99)) - like(with_period, p)) * F.exp(-letters) * (F.length(kind) - letters + 1) * F.pow(letters, -F.least(without, F.lit(50)))
+
+
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     """The statistics over all texts."""
 
@@ -263,21 +272,20 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     seen = materialise(docs.where(F.length(text) > 0).select(text, lang).mapInArrow(run, "lang string, kind string, a string, b string, n bigint").groupBy("lang", "kind", "a", "b").agg(F.sum("n").alias("n")), "p8-counts", "kind")
     totals = {(r.lang, r.kind): r.n for r in seen.groupBy("lang", "kind").agg(F.sum("n").alias("n")).collect()}
 
-    def commonest(df: DataFrame) -> DataFrame:
-        rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "a"))
-        return df.where(F.col("n") >= LEAST_COUNT).withColumn("rank", rank).where(F.col("rank") <= MOST_TYPES).drop("rank")
-
+    # every type from LEAST_COUNT on is scored where it lies; only those that may be abbreviations come to the driver
     digits = F.sum(F.when(F.col("b") == "0", F.col("n")).otherwise(0)).alias("digits")
-    periods = commonest(seen.where("kind = 'p'").groupBy("lang", "a").agg(F.sum("n").alias("n"), digits))
+    periods = seen.where("kind = 'p'").groupBy("lang", "a").agg(F.sum("n").alias("n"), digits).where(F.col("n") >= LEAST_COUNT)
+    sums = F.broadcast(docs.sparkSession.createDataFrame([(lang, totals.get((lang, "t"), 1), totals.get((lang, "p"), 1)) for lang in {lang for lang, _ in totals}], "lang string, tokens bigint, periods bigint"))  # a row a language
     lower = seen.where("kind = 't'").groupBy("lang", F.lower("a").alias("a")).agg(F.sum("n").alias("uses"))
     short, shares = [], {}
-    for r in periods.join(lower, ["lang", "a"], "left").collect():
+    likely = F.col("a").startswith("#") | (_score("n", F.coalesce("uses", F.lit(0)), "tokens", "periods", "a") >= 0.99 * ABBREVIATION) | ((F.col("digits") >= 3) & (F.col("digits") > 2 * DIGITS * F.col("n")))
+    for r in periods.join(lower, ["lang", "a"], "left").join(sums, "lang").where(likely).collect():
         without = r.uses or 0
         shortened = r.a.startswith("#") or score(r.n, without, totals.get((r.lang, "t"), 1), totals.get((r.lang, "p"), 1), r.a) >= ABBREVIATION
         if shortened or (r.digits >= 3 and r.digits > 2 * DIGITS * r.n):
             short.append((r.lang, r.a, shortened))
             shares[r.lang, r.a] = r.digits / r.n
-    uses = commonest(seen.where("kind = 't'").select("lang", "a", "n")).select("lang", "a", F.col("n").alias("uses"))
+    uses = seen.where("kind = 't'").where(F.col("n") >= LEAST_COUNT).select("lang", "a", F.col("n").alias("uses"))
     first = F.substring("b", 1, 1)
     upper = (first != F.lower(first)) | ~first.rlike(r"\p{Ll}")
     total = lambda cond: F.sum(F.when(cond, F.col("n")).otherwise(0))
@@ -286,7 +294,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     for _ in range(2):
         # a period after a type that is no abbreviation, or that mostly ends sentences all the same, starts the word after it
         marked = [(lang, a, shortened and (lang, a) not in final and (len(a) < LONG_WORD or "." in a)) for lang, a, shortened in short]
-        kinds = F.broadcast(docs.sparkSession.createDataFrame(marked, "lang string, a string, shortened boolean"))  # at most MOST_TYPES a language
+        kinds = F.broadcast(docs.sparkSession.createDataFrame(marked, "lang string, a string, shortened boolean"))  # likely abbreviations
         after = seen.where("kind = 'p' and b not in ('', '0') and a not like '#%'").join(kinds.where("shortened"), ["lang", "a"], "left_anti").select("lang", F.col("b").alias("a"), "n")
         starts = seen.where("kind = 's'").select("lang", "a", "n").unionAll(after).groupBy("lang", "a").agg(F.sum("n").alias("starts"))
         whole = starts.groupBy("lang").agg(F.sum("starts").alias("all")).join(tokens, "lang", "left")  # a row a language
@@ -303,7 +311,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     short_ = {k: (v, ends.get(k, 0.0)) for k, v in shares.items()}
     # words inside sentences, and collocations, matter where the type before the period does not settle the matter by itself
     halves = sorted({lang for (lang, a), (_, e) in short_.items() if ENDS <= e < 0.5})
-    told = rates[0].where(F.col("starter") | (F.col("lang").isin(halves) & (F.col("rate") < INSIDE))).select("lang", "a", "starter").collect()
+    # the splitter asks only for words that begin with a capital whether they occur inside sentences
+    told = rates[0].where(F.col("starter") | (F.col("lang").isin(halves) & (F.col("rate") < INSIDE) & ~F.col("a").rlike(r"^\p{IsLowercase}"))).select("lang", "a", "starter").collect()
     starters, inside = ({(r.lang, r.a) for r in told if r.starter == kind} for kind in (True, False))
     open_, together = [(lang, a) for (lang, a), (_, e) in short_.items() if 0.05 <= e < 0.95], set()
     if open_:
@@ -314,8 +323,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
         # more frequent after the type than at sure starts: the period between them is not an end
         apart = F.col("n") * F.greatest("all", F.lit(1)) > 2 * F.col("starts") * F.col("periods")
         kept = pairs.where(apart & (_ratio(F.col("n"), F.col("periods"), F.greatest("uses", "n"), F.greatest("tokens", F.lit(1))) >= COLLOCATION))
-        top = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "a", "b"))
-        together = {(r.lang, r.a, r.b) for r in kept.withColumn("rank", top).where(F.col("rank") <= MOST_TYPES).collect()}
+        together = {(r.lang, r.a, r.b) for r in kept.collect()}
     model = Model(starters, inside, short_, together)
     discard(seen, *rates)
     return model
@@ -527,7 +535,7 @@ def sentences(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: st
     read. Without a model one is fitted on all of docs first.
     """
     model = fit(docs, text, lang) if model is None else model
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MOST_TYPES entries a language and kind
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # abbreviations, starters, collocations and capitalised words, not all types
 
     def run(batches):
         splitter = Splitter(shared.value)

@@ -270,3 +270,20 @@ def test_ratio_tells_company_from_chance(spark):
     rows = spark.createDataFrame([(50, 50, 60, 10_000), (1, 100, 100, 10_000), (0, 10, 10, 100)], "a bigint, b bigint, c bigint, d bigint")
     near, chance, apart = (r[0] for r in rows.select(S._ratio(*(F.col(c) for c in "abcd"))).collect())
     assert near > 100 and chance < 1 and apart == 0
+
+
+def test_sentence_model_keeps_rare_types_of_a_large_vocabulary(spark):
+    letters = "bcdfghjklmnpqrstvwxz"
+    words = ["".join((letters[i % 20], "a", letters[i // 20 % 20], "o", letters[i // 400 % 20], "u", letters[i // 8000 % 20])) for i in range(101_000)]
+    common = [" ".join(f"the the {w}." for w in words[i : i + 1000] for _ in range(5)) for i in range(0, len(words), 1000)]
+    rare = ["The map is cf. Zaxo of it.", "It was cf. Zaxo in the map."] * 2
+    data = spark.createDataFrame([(i, t, "en") for i, t in enumerate(common + rare)], "doc_id bigint, text string, lang string")
+    model = S.fit(data)
+    assert any(a == "cf" for _, a in model.short)
+    assert ["It is cf. Zaxo of it."] == [t[a:b] for t in ["It is cf. Zaxo of it."] for a, b in S.Splitter(model).split(t, "en")]
+
+
+def test_scores_of_columns_are_those_of_numbers(spark):
+    rows = [(8, 0, 1000, 50, "cf"), (40, 3, 1000, 50, "a.m"), (5, 60, 10, 9, "no"), (9, 0, 0, 0, "word")]
+    got = [r[0] for r in spark.createDataFrame(rows, "a bigint, b bigint, c bigint, d bigint, k string").select(S._score("a", "b", "c", "d", "k")).collect()]
+    assert got == pytest.approx([S.score(*r) for r in rows])
