@@ -41,3 +41,12 @@ def test_same_rows(spark, data, duck, name):
 def test_every_query_is_described():
     assert len(catalogue.queries()) > 80
     assert set(SQL) <= set(catalogue.queries())
+
+
+def test_dark_passages_among_retellings(spark, data, duck, tmp_path):
+    """Dark members are found from their own lists, and from those that name them where these are full of retellings."""
+    duck.execute(f"copy (select * replace (chunk_id + 100000 * k as chunk_id, doc_id + 100000 * k as doc_id, case when chunk_id % 3 < 2 then 'the ledger' else heading end as heading) from chunks, range(6) t(k) where k = 0 or chunk_id % 7 < 2) to '{tmp_path}/chunks.parquet' (format parquet)")
+    con = duckdb.connect()
+    con.execute(f"create view chunks as from '{tmp_path}/chunks.parquet'; create view memberships as from '{data}/memberships.parquet'")
+    got, want = catalogue.queries()["dossier_dark"](spark, str(tmp_path)).toPandas(), con.execute(SQL["dossier_dark"]).df()
+    assert len(want) and canonical(got) == canonical(want)
